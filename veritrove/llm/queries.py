@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, packing, secret_scan, simhash_dedup, token_files
+from . import language_id, packing, secret_scan, simhash_dedup, token_files, winnowing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def _over(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": _over("documents", secret_scan.digest),
+    "op2_winnowing": _over("documents", winnowing.digest),
     "op5_token_files": _over("documents", token_files.digest),
     "op7_packing": _over("documents", packing.digest),
     "op9_simhash_dedup": _over("documents", simhash_dedup.digest),
