@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slabs(batch):
+            for part in slabs(batch, most=1 << 20):
                 of, start, length, crc, total, row, lists = [], [], [], [], [], [], []
                 for i, ids in enumerate(encode_with_end(part.column("text").to_pylist(), vocabulary, end_id)):
                     raw = ids.astype("<u4").tobytes()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, packing, secret_scan, simhash_dedup, token_files, winnowing
+from . import ann_search, language_id, packing, secret_scan, simhash_dedup, token_files, toxicity, winnowing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,9 @@ QUERIES: dict[str, Query] = {
     "op1_secret_scan": _over("documents", secret_scan.digest),
     "op2_winnowing": _over("documents", winnowing.digest),
     "op5_token_files": _over("documents", token_files.digest),
+    "op6_ann_search": _over("embeddings", ann_search.search),
     "op7_packing": _over("documents", packing.digest),
+    "op8_toxicity": lambda spark, sf_dir: toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_simhash_dedup": _over("documents", simhash_dedup.digest),
     "op10_language_id": _over("documents", language_id.digest),
 }

@@ -146,7 +146,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
             return pa.RecordBatch.from_arrays(cols, ["range", "number", "n_docs", "n_tokens", "data"])
 
         for batch in batches:
-            for part in slabs(batch):
+            for part in slabs(batch, most=1 << 20):
                 encoded = encode_with_end(part.column("text").to_pylist(), vocabulary, end_id)
                 for d, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
                     if own and held + len(ids) > SEGMENT:

@@ -8,6 +8,7 @@ library whole. Either way the ids are the library's.
 
 from __future__ import annotations
 
+import gc
 import os
 import unicodedata
 from functools import lru_cache
@@ -17,7 +18,7 @@ import regex
 
 WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
-CACHE = 400_000
+CACHE = 600_000
 # Fixed value: the pre-tokenizer's pattern in the vocabulary file.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Code points below LATIN, without control characters of which the libraries differ.
@@ -54,7 +55,7 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u2")
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u2")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
                 raw, at = ids.tobytes(), [0, *(2 * ends).tolist()]
@@ -65,6 +66,16 @@ class WordEncoder:
                     self.known[w] = self._whole(w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Without the cycle collector, which would visit the words of a slab again and again and find nothing."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         split: list[tuple[int, list[str]]] = []
         new: set[str] = set()
