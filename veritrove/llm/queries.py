@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, language_id, line_dedup, packing, secret_scan, simhash_dedup, token_files, toxicity, winnowing
+from . import ann_search, byte_bpe, language_id, line_dedup, packing, secret_scan, simhash_dedup, token_files, toxicity, winnowing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def _over(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": _over("documents", secret_scan.digest),
     "op2_winnowing": _over("documents", winnowing.digest),
+    "op3_byte_bpe": _over("documents", byte_bpe.digest),
     "op4_line_dedup": _over("documents", line_dedup.digest),
     "op5_token_files": _over("documents", token_files.digest),
     "op6_ann_search": _over("embeddings", ann_search.search),
