@@ -31,9 +31,10 @@ from .common import pick, sample_below
 
 RANKS = "byte_bpe_50k.tiktoken"
 BUCKETS = 1 << 14
-CACHED, CACHED_BYTES = 65_536, 48
-SAMPLE_DOCS = 8000
+CACHED, CACHED_BYTES = 131_072, 48
+SAMPLE_DOCS = 16_000
 LONG = 256
+NO_RANK = 1 << 30
 
 
 @lru_cache(4)
@@ -73,23 +74,39 @@ def _latin(text: Column) -> Column:
     return F.decode(text.cast("binary"), "ISO-8859-1")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold(piece: Column, ranks: Column) -> Column:
-    """The ids of a piece, joined by blanks: ranked merges folded over its bytes."""
-    first = F.split(_latin(piece), "")
+    """The ids of a piece, joined by blanks: ranked merges folded over its bytes.
 
-    def step(parts: Column, _: Column) -> Column:
-        pairs = F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts)), lambda a, b: F.concat(a, b))
-        keyed = F.transform(F.slice(pairs, 1, F.size(parts) - 1), lambda x, i: _found(ranks, x).cast("long") * 65536 + i)
-        best = F.transform(F.array(F.array_min(keyed)), lambda b: (b % 65536).cast("int"))
-        merged = F.transform(
-            best,
-            lambda i: F.when(i.isNull(), parts).otherwise(F.concat(F.slice(parts, 1, i), F.array(F.concat(F.get(parts, i), F.get(parts, i + 1))), F.slice(parts, i + 3, F.size(parts)))),
+    The state is the parts and the ranks of their adjacent pairs; a merge looks two new pairs up.
+    """
+    rank = lambda x: F.coalesce(_found(ranks, x), F.lit(NO_RANK))
+    none = F.array().cast("array<int>")
+    first = F.split(_latin(piece), "")
+    last = F.length(_latin(piece)) - 1
+    pairs = F.zip_with(F.slice(first, 1, last), F.slice(first, 2, last), lambda a, b: rank(F.concat(a, b)))
+    start = F.struct(first.alias("parts"), pairs.alias("ranks"))
+
+    def merge(state: Column, i: Column) -> Column:
+        parts, known = state["parts"], state["ranks"]
+        whole = F.concat(F.get(parts, i - 1), F.get(parts, i))
+        left = F.when(i > 1, F.array(rank(F.concat(F.get(parts, i - 2), whole)))).otherwise(none)
+        right = F.when(i < F.size(known), F.array(rank(F.concat(whole, F.get(parts, i + 1))))).otherwise(none)
+        return F.struct(
+            F.concat(F.slice(parts, 1, i - 1), F.array(whole), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
+            F.concat(F.slice(known, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(known, i + 2, F.size(known))).alias("ranks"),
         )
-        return F.get(merged, F.lit(0))
 
-    parts = F.aggregate(F.sequence(F.lit(2), F.length(_latin(piece))), first, step)
-    parts = F.when(F.length(_latin(piece)) < 2, first).otherwise(parts)
-    return F.array_join(F.transform(parts, lambda x: _found(ranks, x).cast("string")), " ")
+    def step(state: Column, _: Column) -> Column:
+        least = F.coalesce(F.array_min(state["ranks"]), F.lit(NO_RANK))
+        return F.when(least == NO_RANK, state).otherwise(_let(F.array_position(state["ranks"], least).cast("int"), lambda i: merge(state, i)))
+
+    ids = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda state: F.array_join(F.transform(state["parts"], lambda x: _found(ranks, x).cast("string")), " "))
+    return F.when(last < 1, _found(ranks, _latin(piece)).cast("string")).otherwise(ids)
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
