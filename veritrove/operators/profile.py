@@ -63,7 +63,9 @@ def null_kinds(df: DataFrame, columns: list[str]) -> DataFrame:
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     def of(c: str) -> dict[str, Column]:
         x = number(c)
-        q = lambda p: F.percentile(x, F.lit(p))
+        levels = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+        whole = F.percentile(x, F.array(*map(F.lit, levels)))  # one aggregate for all levels
+        q = lambda p: F.get(whole, F.lit(levels.index(p)))
         out = {"n": F.count(x), "distinct": F.count_distinct(x), "low": F.min(x), "high": F.max(x), "mean": F.avg(x), "sd": F.stddev_pop(x), "p01": q(0.01), "p05": q(0.05), "q1": q(0.25), "median": q(0.5), "q3": q(0.75), "p95": q(0.95), "p99": q(0.99)}
         return {k: F.round(v, 4) if k not in ("n", "distinct") else v for k, v in out.items()}
 
