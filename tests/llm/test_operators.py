@@ -108,6 +108,14 @@ def test_token_files(docs, odd, texts):
     assert all(r["n_tokens"] == want[r["doc_id"]] for r in token_files.digest(odd).collect())
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("aAbs'tredvlm  \n\t.!-,012éßİÞ\xa0\x85\x00Ⱥ²½ʼ’Σ日\u0301", max_size=25), min_size=1, max_size=4))
+def test_word_encoder_matches_its_library(texts):
+    own = encoder(vocabulary_path())
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == own.library.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), min_size=1, max_size=600))
 def test_blocks_round_trip(ids):
