@@ -210,6 +210,22 @@ def test_simhash_components(docs, odd):
         assert all(r["component_id"] == want[g] for r, g in zip(rows, group.tolist(), strict=True))
 
 
+@pytest.mark.parametrize("last", ["same", "word{}"])
+def test_toxicity_of_rare_insults_beside_copies(spark, last):
+    """Copies (or near copies) of one long toxic text hold more words than insults do, in more documents than an insult."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("aeioubdfglmnprst"), 7))
+    plain, insults, long = [word() for _ in range(120)], ["zukwex", "qyvock", "wyzzak", "kohwyc", "vexhoq", "jowkux"], " ".join(word() for _ in range(600))
+    some = lambda: " ".join(rng.choice(plain, 12))
+    toxic = [f"{some()} {insults[i % 6]} {some()}" for i in range(60)] + [f"{long} {last.format(i)}" for i in range(30)]
+    clean = [some() for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(toxic + clean)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < len(toxic))) for i in range(len(toxic + clean))], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert set(insults) <= set(model.witnesses)
+    assert (toxicity.score_texts([f"so {w} he said" for w in insults], model) >= toxicity.THRESHOLD).all()
+
+
 def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -6,9 +6,10 @@ of their subsequences of three letters (word ends count as a letter) that span a
 DECAY for every place skipped, over the root of what a unit of that length weighs. So an inserted or missing character
 lowers the kernel without ending it.
 
-Training works on a bounded sample of labelled documents (MOST_TOXIC, MOST_CLEAN, those with the smallest hash of the id).
+Training works on a bounded sample of labelled documents (MOST_TOXIC, MOST_CLEAN, those with the smallest hash of the text);
+equal texts are one document, toxic if one of them is labelled so.
 A toxic document is a bag of units of which one at least is toxic: witnesses are chosen greedily, each the unit that
-explains most toxic documents so far unexplained and is as good as absent from clean ones. Landmarks are the witnesses
+explains most toxic documents so far unexplained and is as good as absent from clean ones; all units are candidates. Landmarks are the witnesses
 and clean units; a unit's features are its kernels with the landmarks times the inverse root of the landmarks' own
 kernel matrix. The machine is trained on witnesses against clean units, then again with the clean units that it had
 scored highest. Its decision is linear in the subsequence weights, so it folds into one vector over letter triples, which
@@ -37,7 +38,7 @@ LETTERS = 28  # word end, a-z, any other letter
 SPAN = 5
 DECAY = 0.5
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
-MOST_CANDIDATES, MOST_NEGATIVES = 400, 4000
+MOST_NEGATIVES = 4000
 LANDMARKS = 256
 #: A witness explains at least this share of the toxic documents, and is this many times likelier there than in clean ones.
 LEAST_SHARE, LEAST_RATIO = 0.004, 20.0
@@ -199,45 +200,53 @@ def _rows_of_units(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, toxic int, unit string").where("length(unit) >= 2")
 
 
-def _witnesses(bags: list[set[str]], candidates: list[str], total: int) -> list[tuple[str, int]]:
-    """Greedy cover of the toxic documents by candidate units."""
-    open_, out = list(bags), []
-    while open_:
-        counts = {c: 0 for c in candidates}
-        for bag in open_:
-            for w in bag:
-                counts[w] += 1
-        best = min(counts, key=lambda c: (-counts[c], c), default=None)
-        if best is None or counts[best] < max(2, LEAST_SHARE * total):
+def _witnesses(pairs: DataFrame, total: int) -> list[tuple[str, int]]:
+    """Greedy cover of the toxic documents by units; pairs: doc_id, unit and n1 (the documents of the unit), each pair once.
+
+    Units of the same documents cover alike, so one of them (the first by name) goes to the driver, with its documents.
+    """
+    least = max(2, LEAST_SHARE * total)  # a unit of fewer documents is never chosen
+    sets = pairs.where(F.col("n1") >= least).groupBy("unit").agg(F.sort_array(F.collect_set("doc_id")).alias("docs")).groupBy("docs").agg(F.min("unit").alias("unit")).orderBy("unit").collect()
+    at = {d: i for i, d in enumerate(sorted({d for r in sets for d in r["docs"]}))}
+    member = np.zeros((len(sets), len(at)), dtype=bool)
+    for i, r in enumerate(sets):
+        member[i, [at[d] for d in r["docs"]]] = True
+    out = []
+    while member.size:
+        counts = member.sum(1)
+        best = int(counts.argmax())  # the first by name among equals
+        if counts[best] < least:
             break
-        out.append((best, counts[best]))
-        open_ = [b for b in open_ if best not in b]
+        out.append((sets[best]["unit"], int(counts[best])))
+        member = member[:, ~member[best]]
+    common = pairs.where(F.col("n1") >= COMMON_SHARE * total)
+    together = common.groupBy("doc_id").agg(F.count(F.lit(1)).alias("together"))
+    # words of one much copied document come along with dozens of others; insults of a vocabulary do not
+    few = common.join(together, "doc_id").groupBy("unit").agg(F.max("n1").alias("n1"), F.percentile("together", F.lit(0.5)).alias("half")).where(F.col("half") <= COMMON_WORDS)
     chosen = {w for w, _ in out}
-    totals = {c: sum(c in b for b in bags) for c in candidates}
-    common = {c for c in candidates if totals[c] >= COMMON_SHARE * total}
-    for c in sorted(common - chosen):
-        # words of one much copied document come along with dozens of others; insults of a vocabulary do not
-        if np.median([len(b & common) for b in bags if c in b]) <= COMMON_WORDS:
-            out.append((c, totals[c]))
-    return out
+    return [*out, *((r["unit"], r["n1"]) for r in few.orderBy("unit").collect() if r["unit"] not in chosen)]
+
+
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """doc_id (the hash of the text), toxic, text: distinct labelled texts."""
+    named = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    hashed = pick(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
+    labelled = cut(hashed.select("doc_id", "key").join(named.where("toxic IS NOT NULL"), "doc_id").groupBy("key").agg(F.max("toxic").alias("toxic")))
+    some = sample_below(labelled.where("toxic = 1"), "key", MOST_TOXIC).unionByName(sample_below(labelled.where("toxic = 0"), "key", MOST_CLEAN))
+    return hashed.join(F.broadcast(some), "key").groupBy("key", "toxic").agg(F.max("text").alias("text")).withColumnRenamed("key", "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from the labelled documents given; label 1 is toxic, 0 is not, null is no label."""
-    named = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = sample_below(named.where("toxic = 1"), "doc_id", MOST_TOXIC).unionByName(sample_below(named.where("toxic = 0"), "doc_id", MOST_CLEAN))
-    rows = cut(_rows_of_units(pick(docs, id_col, text_col).join(some, "doc_id")))
+    rows = cut(_rows_of_units(_sample(docs, labels, id_col, text_col, label_col)))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count_distinct("doc_id").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return NO_MODEL
     counts = rows.groupBy("unit").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("n1"), F.count_distinct(F.when(F.col("toxic") == 0, F.col("doc_id"))).alias("n0"))
     ratio = ((F.col("n1") + 0.5) / (n1 + 1)) / ((F.col("n0") + 0.5) / (n0 + 1))
-    candidates = [r["unit"] for r in counts.where((ratio >= LEAST_RATIO) & (F.col("n1") >= 2) & (F.length("unit") >= 3)).orderBy(F.desc("n1"), "unit").limit(MOST_CANDIDATES).collect()]
-    if not candidates:
-        return NO_MODEL
-    bags = rows.where((F.col("toxic") == 1) & F.col("unit").isin(candidates)).groupBy("doc_id").agg(F.collect_set("unit").alias("units"))
-    chosen = _witnesses([set(r["units"]) for r in bags.collect()], candidates, n1)
+    candidates = counts.where((ratio >= LEAST_RATIO) & (F.col("n1") >= 2) & (F.length("unit") >= 3)).select("unit", "n1")
+    chosen = _witnesses(cut(rows.where("toxic = 1").select("doc_id", "unit").join(candidates, "unit")), n1)
     if not chosen:
         return NO_MODEL
     clean = counts.where("n0 > 0").select("unit")
