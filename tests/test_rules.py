@@ -1,9 +1,11 @@
 """Rules on small frames: nulls, empty tables, errors, conditions, and that fusing changes nothing."""
 
+import numpy as np
 import pytest
 
 from veritrove.functions.exprs import ExpressionError, datetime_pattern, java_regex, predicate
 from veritrove.functions.tails import chi2_tail, correlation_tail, kolmogorov_tail, normal_cdf
+from veritrove.operators import stat_rules
 from veritrove.operators.base import Context, RuleError, create
 from veritrove.plans.planner import outcomes, samples
 from veritrove.sources.jdbc import QueryError, guarded_query, guarded_url, identifier
@@ -109,3 +111,23 @@ def test_formats_agree(spark, frame, tmp_path):
     for name in ("a.csv", "a.parquet", "a.jsonl"):
         assert sorted((r["id"], r["c"]) for r in load(spark, str(tmp_path / name)).collect()) == want
     assert sniff_delimiter("a;b\n1;2\n") == ";"
+
+
+@pytest.mark.parametrize(("n", "values", "slot"), [(6000, 5, 4096), (3000, 40, 64), (3000, 10**9, 100), (2, 10, 4096)])
+def test_kendall_is_of_all_rows(spark, monkeypatch, n, values, slot):
+    monkeypatch.setattr(stat_rules, "SLOT", slot, raising=False)
+    rng = np.random.default_rng(n + values)
+    a = rng.integers(0, values, n)
+    b = np.where(rng.random(n) < 0.3, a, rng.integers(0, values, n)) - values / 2
+    s, t = np.sign(a[:, None] - a), np.sign(b[:, None] - b)
+    want = (s * t).sum() / np.sqrt(float((s != 0).sum()) * float((t != 0).sum()))
+    df = spark.createDataFrame(list(zip(range(n), a.tolist(), b.tolist(), strict=True)), "id long, a long, b double")
+    if n > 2:
+        rule = {"column1": "a", "column2": "b", "correlation_type": "kendall", "expected_correlation": float(want), "tolerance": 1e-6}
+        assert one(df, spark, "CorrelationCheck", rule).passed
+    assert abs(stat_rules.kendall(df.select(df.a.cast("double").alias("a"), "b")) - want) < 1e-9
+
+
+def test_kendall_of_one_value(spark):
+    assert stat_rules.kendall(spark.createDataFrame([(1.0, float(i)) for i in range(9)], "a double, b double")) is None
+    assert stat_rules.kendall(spark.createDataFrame([], "a double, b double")) is None

@@ -168,7 +168,6 @@ class CorrelationCheck(Rule):
     kind = "plan"
     REQUIRED = ("column1", "column2")
     PARAMS = {"expected_correlation": None, "min_correlation": None, "max_correlation": None, "correlation_type": "pearson", "tolerance": 0.1}
-    KENDALL_ROWS = 2000
 
     def check(self):
         if self.p["correlation_type"] not in ("pearson", "spearman", "kendall"):
@@ -181,7 +180,7 @@ class CorrelationCheck(Rule):
             pairs = pairs.join(average_ranks(pairs, "a"), "a").join(average_ranks(pairs, "b"), "b").select(F.col("rank_a").alias("a"), F.col("rank_b").alias("b"))
         n, r = pairs.agg(F.count(F.lit(1)), F.corr("a", "b")).first()
         if how == "kendall":
-            r = kendall([tuple(x) for x in pairs.orderBy(F.xxhash64("a", "b")).limit(self.KENDALL_ROWS).collect()])
+            r = kendall(pairs)
         if n < 3 or r is None or math.isnan(r):
             return Outcome(1, n, False, "too few pairs")
         e, low, high = self.p["expected_correlation"], self.p["min_correlation"], self.p["max_correlation"]
@@ -189,16 +188,38 @@ class CorrelationCheck(Rule):
         return Outcome(int(not ok), n, ok, details={"r": r, "p": correlation_tail(r, n)})
 
 
-def kendall(pairs: list[tuple[float, float]]) -> float | None:
-    """tau-b of a bounded sample."""
-    import numpy as np
+SLOT = 4096
 
-    if len(pairs) < 2:
+
+def kendall(pairs: DataFrame) -> float | None:
+    """tau-b of all rows (a, b), by counts of distinct pairs.
+
+    Two values of b, as numbers of smaller rows, part at one bit: above it they agree (a block), and there one has 0, the other 1.
+    So for each bit, rows with 1 are compared with the rows with 0 of their block, of which running sums by a tell how many are
+    smaller and greater in a. The sums run within slots of a that hold SLOT rows, and over the slots' totals.
+    """
+    n = pairs.count()
+    if n < 2:
+        return None
+    ties = lambda c: F.sum((F.col(c) * (F.col(c) - 1)).cast("decimal(38,0)"))
+    by_a, by_b = (running_counts(pairs.select(F.col(c).alias("x"))) for c in ("a", "b"))
+    ties_a, ties_b = (int(t.agg(ties("n")).first()[0]) for t in (by_a, by_b))
+    if n * (n - 1) in (ties_a, ties_b):
         return None
-    a, b = np.array(pairs).T
-    s, t = np.sign(a[:, None] - a), np.sign(b[:, None] - b)
-    below = math.sqrt(float((s != 0).sum()) * float((t != 0).sum()))
-    return float((s * t).sum()) / below if below else None
+    cells = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
+    cells = cells.join(by_a.select(F.col("x").alias("a"), F.col("before").alias("p")), "a").join(by_b.select(F.col("x").alias("b"), F.col("before").alias("q")), "b")
+    dealt = cells.select("p", "q", "w", F.explode(F.sequence(F.lit(0), F.lit((n - 1).bit_length() - 1))).alias("h"))
+    one = F.expr("shiftright(q, h) & 1") == 1
+    count = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0))
+    at = dealt.groupBy("h", F.expr("shiftright(q, h + 1)").alias("block"), "p").agg(count(~one).alias("zeros"), count(one).alias("ones")).withColumn("slot", F.floor(F.col("p") / SLOT))
+    slots = at.groupBy("h", "block", "slot").agg(F.sum("zeros").alias("t"))
+    over = Window.partitionBy("h", "block")
+    slots = slots.select("h", "block", "slot", F.sum("t").over(over).alias("all"), (F.sum("t").over(over.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")).alias("base"))
+    inside = Window.partitionBy("h", "block", "slot").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    smaller = F.col("base") + F.sum("zeros").over(inside) - F.col("zeros")
+    found = at.join(slots, ["h", "block", "slot"]).select("ones", (2 * smaller + F.col("zeros") - F.col("all")).alias("d"))
+    ahead = int(found.agg(F.sum(F.col("ones").cast("decimal(19,0)") * F.col("d").cast("decimal(19,0)"))).first()[0])
+    return 2 * ahead / math.sqrt(n * (n - 1) - ties_a) / math.sqrt(n * (n - 1) - ties_b)
 
 
 class BaselineComparisonCheck(_Reference):
