@@ -239,6 +239,18 @@ def test_language_id(docs, odd):
     assert by[1] == by[2] == by[3] == "und"
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    from veritrove.llm import stages
+
+    text = lambda k: " ".join(f"w{(i * 31 + k * 977) % 1009}" for i in range(80))
+    a, b, c, d, e = map(text, range(5))
+    rows = [(None, a), (None, a), (3, a), (4, b), (4, b), (5, c), (5, a), (None, d), (None, d), (None, e)]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = stages.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted([(3, a), (4, b), (5, c), (0, d), (0, e)])
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
