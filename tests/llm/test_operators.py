@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from veritrove.llm import ann_search, byte_bpe, language_id, packing, secret_scan, simhash_dedup, token_files, toxicity, winnowing
 from veritrove.llm.components import components
-from veritrove.llm.tokens import encoder, vocabulary_path
+from veritrove.llm.tokens import END_ID, encode_with_end, encoder, vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, score string"
 
@@ -261,3 +261,25 @@ def test_pipeline(spark, sf_dir):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     kept = docs.collect()
     assert len(kept) > 700 and not any(secret_scan.brute_force(r["text"])[0] for r in kept)
+
+
+def test_pipeline_runs_to_packed_sequences(spark):
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+    kept = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = dict(zip(kept, encode_with_end(list(kept.values()), vocabulary_path(), END_ID), strict=True))
+    of, filled = {}, {}
+    for r in corpus_pipeline.run(spark, sf_dir).collect():
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert zlib.crc32(part.astype("<u4").tobytes()) == r["ids_crc32"]
+        of.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert {d: sum(n for _, n in p) for d, p in of.items()} == {d: len(x) for d, x in ids.items()}
+    for spans in (*of.values(), *filled.values()):
+        ends = [a + n for a, n in sorted(spans)]
+        assert [a for a, _ in sorted(spans)] == [0, *ends[:-1]]
+    assert all(max(a + n for a, n in x) <= packing.CAP for x in filled.values())
