@@ -2,24 +2,25 @@
 
 Bigrams and trigrams of code points (lower-cased, with a blank at either end) are hashed into 2^BITS buckets. Training
 counts buckets per language on the executors; the driver gets one count for each language and bucket, smooths them into
-a log-probability matrix and broadcasts it. Its size depends on the buckets and the languages only. Scoring hashes a slab
+a log-probability matrix and broadcasts it, with the log share of each language's documents as prior. Its size depends on
+the buckets and the languages only. Scoring hashes a slab
 of text with numpy, gathers matrix rows and sums them by document.
 
 Training may be bounded: `most_docs` labelled documents with the smallest hash of their id. Scoring covers all texts,
 whole.
 
-Cases: a null text or one without a letter is `und` with score 0; without any labelled row every text is `und`; equal
+The score is the posterior of the language predicted. Cases: a null text or one without a letter is `und` with score 0; without any labelled row every text is `und`; equal
 texts get equal predictions; ties go to the alphabetically first language. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +29,17 @@ from .common import sample_below, slabs
 BITS = 16
 MOST_DOCS = 20_000
 SMOOTH = 0.1
-#: A posterior is taken as though a text had at most so many n-grams; else every long text would score 1.
-WEIGHT = 48.0
+#: Texts are worked on in slabs of about so many bytes: hashing takes some 80 bytes of memory a byte of text.
+SLAB = 512 << 10
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
     matrix: np.ndarray  # buckets x languages, float32
+    prior: np.ndarray  # log share of each language's documents
 
 
 def hashed_ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,26 +75,32 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        docs: dict[str, int] = {}
         for batch in batches:
-            for part in slabs(batch):
+            for part in slabs(batch, most=SLAB):
                 langs = part.column("lang").to_pylist()
+                for lang in langs:
+                    docs[lang] = docs.get(lang, 0) + 1
                 buckets, starts = hashed_ngrams(part.column("text").to_pylist())
                 for lang in set(langs):
                     own = np.concatenate([buckets[starts[i] : starts[i + 1]] for i, x in enumerate(langs) if x == lang])
                     sums[lang] = sums.get(lang, 0) + np.bincount(own, minlength=1 << BITS)
         for lang, c in sums.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "bucket", "n"])
+            # bucket -1 counts the documents
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array([*at, -1], pa.int32()), pa.array([*c[at], docs[lang]], pa.int64())], ["lang", "bucket", "n"])
 
     got = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = np.array(got.column("lang").to_pylist(), dtype=object)
     names = tuple(sorted(set(langs)))
     counts = np.zeros((1 << BITS, max(1, len(names))))
+    prior = np.ones(max(1, len(names)))
     for k, name in enumerate(names):
-        own = langs == name
-        counts[got.column("bucket").to_numpy()[own], k] = got.column("n").to_numpy()[own]
+        bucket, n = got.column("bucket").to_numpy()[langs == name], got.column("n").to_numpy()[langs == name]
+        counts[bucket[bucket >= 0], k] = n[bucket >= 0]
+        prior[k] = n[bucket < 0].sum()
     prob = (counts + SMOOTH) / (counts.sum(0) + SMOOTH * (1 << BITS))
-    return Model(names, np.log(prob).astype(np.float32))
+    return Model(names, np.log(prob).astype(np.float32), np.log(prior / prior.sum()))
 
 
 def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
@@ -101,11 +109,9 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.nd
     some = [i for i, k in enumerate(known) if k]
     if some:
         buckets, starts = hashed_ngrams([texts[i] for i in some])
-        n = np.diff(starts)
-        mean = np.stack([np.add.reduceat(model.matrix[:, k][buckets], starts[:-1], dtype=np.float64) for k in range(len(model.languages))], axis=1) / n[:, None]
-        scaled = mean * np.minimum(n, WEIGHT)[:, None]
-        odds = np.exp(scaled - scaled.max(1, keepdims=True))
-        best = scaled.argmax(1)
+        total = np.stack([np.add.reduceat(model.matrix[:, k][buckets], starts[:-1], dtype=np.float64) for k in range(len(model.languages))], axis=1) + model.prior
+        odds = np.exp(total - total.max(1, keepdims=True))
+        best = total.argmax(1)
         scores[some] = odds[np.arange(len(some)), best] / odds.sum(1)
         for i, b in zip(some, best.tolist(), strict=True):
             names[i] = model.languages[b]
@@ -118,13 +124,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slabs(batch, "__text"):
+            for part in slabs(batch, "__text", SLAB):
                 names, scores = score_texts(part.column("__text").to_pylist(), sent.value)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[1:], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[drop:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[drop:], "lang_pred", "score"])
 
-    rows = docs.select(F.col(f"`{text_col}`").alias("__text"), F.col(f"`{id_col}`").alias("doc_id"), *keep)
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
-    return rows.mapInArrow(run, f"{out}, lang_pred string, score double")
+    drop = 0 if text_col in keep else 1  # a text that is kept is sent once
+    rows = docs.select(F.col(f"`{text_col}`").alias("__text"), F.col(f"`{id_col}`").alias("doc_id"), *(F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(keep) if c != text_col))
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[drop:])
+    kept = (F.col("__text" if c == text_col else f"__{k}").alias(c) for k, c in enumerate(keep))
+    return rows.mapInArrow(run, f"{out}, lang_pred string, score double").select("doc_id", *kept, "lang_pred", "score")
 
 
 def held_out_column(doc_id: Column) -> Column:
