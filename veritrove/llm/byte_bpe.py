@@ -106,7 +106,7 @@ def fold(piece: Column, ranks: Column) -> Column:
         return F.when(least == NO_RANK, state).otherwise(_let(F.array_position(state["ranks"], least).cast("int"), lambda i: merge(state, i)))
 
     ids = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda state: F.array_join(F.transform(state["parts"], lambda x: _found(ranks, x).cast("string")), " "))
-    return F.when(last < 1, _found(ranks, _latin(piece)).cast("string")).otherwise(ids)
+    return F.coalesce(_found(ranks, _latin(piece)).cast("string"), ids)  # a piece that has a rank is that token, as the library has it
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
