@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import association as A
+from .operators import insights as I
 from .operators import profile as P
 from .operators import temporal as X
 from .operators.base import Context, create
@@ -215,6 +216,18 @@ _frame("daily_trend", "events", lambda d: X.trend(d, "ts", F.col("value")), "WIT
 _frame("autocorrelation", "events", lambda d: X.autocorrelation(d, "ts"), "WITH d AS (SELECT ts::DATE d, count(*)::DOUBLE v FROM events GROUP BY 1), l AS (SELECT unnest(range(1,8)) k) SELECT k::INT AS lag, round(corr(a.v,b.v),6) AS r FROM d a, l, d b WHERE b.d=a.d+k::INT GROUP BY 1")
 
 
+# --- findings ------------------------------------------------------------------------------------------------------------
+_frame("outlier_methods", "orders", lambda d: I.outlier_methods(d, "o_totalprice"), "WITH m AS (SELECT avg(o_totalprice) a, stddev_samp(o_totalprice) s, quantile_cont(o_totalprice,0.25) q1, median(o_totalprice) q2, quantile_cont(o_totalprice,0.75) q3 FROM orders), k AS (SELECT median(abs(o_totalprice-q2)) mad FROM orders,m), r AS (SELECT abs(o_totalprice-a)>3*s z, (o_totalprice<q1-1.5*(q3-q1) OR o_totalprice>q3+1.5*(q3-q1)) i, abs(0.6745*(o_totalprice-q2)/mad)>3.5 o FROM orders,m,k) SELECT sum(z::INT)::BIGINT AS zscore, sum(i::INT)::BIGINT AS iqr, sum(o::INT)::BIGINT AS modified, sum((z OR i OR o)::INT)::BIGINT AS \"any\", sum((z AND i AND o)::INT)::BIGINT AS \"all\" FROM r")
+_frame("length_anomalies", "documents", lambda d: I.length_anomalies(d, "text").groupBy("size").agg(F.count(F.lit(1)).alias("n")), "WITH m AS (SELECT avg(length(text)) a, stddev_pop(length(text)) s FROM documents) SELECT length(text)::INT AS size, count(DISTINCT text) AS n FROM documents,m WHERE abs(length(text)-a)>3*s GROUP BY 1")
+_frame("proportion_gap", "orders", lambda d: I.proportion_gap(d, "o_orderpriority", "o_orderstatus", "F", "O"), "WITH g AS (SELECT o_orderpriority c, sum((o_orderstatus='F')::INT) a, sum((o_orderstatus='O')::INT) b FROM orders WHERE o_orderstatus IN ('F','O') GROUP BY 1), t AS (SELECT sum(a) na, sum(b) nb FROM g) SELECT c AS category, round(a/na,6) AS first, round(b/nb,6) AS second, round(abs(a/na-b/nb),6) AS gap FROM g,t")
+_frame("key_candidates", "orders", lambda d: I.key_candidates(d, ["o_orderkey", "o_custkey", "o_orderstatus"]), " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(DISTINCT {c}) AS \"distinct\", (count(*)-count({c})) AS nulls, count(DISTINCT {c})=count(*) AS is_key FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus")))
+_frame("self_reference", "customer", lambda d: I.self_reference(d.withColumn("parent", F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey") * 2)), "parent", "c_custkey"), "SELECT count(*) AS rows, sum((c_custkey*2 NOT IN (SELECT c_custkey FROM customer))::INT)::BIGINT AS orphans, count(DISTINCT CASE WHEN c_custkey*2 NOT IN (SELECT c_custkey FROM customer) THEN c_custkey*2 END) AS distinct_orphans FROM customer WHERE c_custkey%3=0")
+_frame("category_sample", "orders", lambda d: I.category_sample(d, "o_orderstatus", "o_orderkey", 25).select("o_orderstatus", "o_orderkey"), "SELECT o_orderstatus, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) <= 25")
+_frame("log_histogram", "orders", lambda d: P.histogram(d, "o_totalprice", 30, log=True), "WITH x AS (SELECT log10(o_totalprice) x FROM orders WHERE o_totalprice>0), m AS (SELECT min(x) a, max(x) b FROM x) SELECT least(floor((x-a)/((b-a)/30)),29)::INT AS bin, count(*) AS n FROM x,m GROUP BY 1")
+_rules("pearson", "part", [("pearson", "CorrelationCheck", {"column1": "p_partkey", "column2": "p_retailprice", "min_correlation": 0.5})], "SELECT 'pearson' AS rule, count(*) AS total_count, (corr(p_partkey,p_retailprice)<0.5)::INT::BIGINT AS failed_count, corr(p_partkey,p_retailprice)>=0.5 AS passed FROM part")
+_rules("kendall", "part", [("kendall", "CorrelationCheck", {"column1": "p_size", "column2": "p_retailprice", "correlation_type": "kendall", "min_correlation": 0.01})], "WITH p AS (SELECT sum(sign(a.p_size-b.p_size)*sign(a.p_retailprice-b.p_retailprice)) s, sqrt(sum((a.p_size<>b.p_size)::INT))*sqrt(sum((a.p_retailprice<>b.p_retailprice)::INT)) d FROM part a, part b) SELECT 'kendall' AS rule, (SELECT count(*) FROM part) AS total_count, (s/d<0.01)::INT::BIGINT AS failed_count, s/d>=0.01 AS passed FROM p")
+
+
 # --- without an equivalent in SQL ---------------------------------------------------------------------------------------
 def _forest(d: DataFrame) -> DataFrame:
     from .operators.forest import isolation_scores

@@ -8,7 +8,7 @@ import sys
 from pathlib import Path
 
 from .operators.base import REGISTRY
-from .report import as_html, as_json, coverage, exit_code, run
+from .report import as_html, as_json, configuration, coverage, exit_code, run, suggest
 from .spec import parse
 
 VERSION = "0.1.0"
@@ -25,6 +25,7 @@ def main(argv: list[str] | None = None) -> int:
     f.add_argument("file")
     f.add_argument("--format")
     f.add_argument("--sample", type=int)
+    f.add_argument("--config", help="writes a job with the rules that the profile supports")
     c = sub.add_parser("coverage")
     c.add_argument("config")
     sub.add_parser("list-rules")
@@ -49,6 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("veritrove").getOrCreate()
     if a.verb == "profile":
         from .operators import profile
+        from .operators.insights import column_summary
         from .sources.readers import load
 
         df = load(spark, a.file, a.format, max_rows=a.sample)
@@ -57,7 +59,10 @@ def main(argv: list[str] | None = None) -> int:
         if numbers:
             parts["numeric"] = profile.numeric_profile(df, numbers)
         found = profile.privacy(df, df.columns)
-        print(json.dumps({**{k: [r.asDict() for r in d.collect()] for k, d in parts.items()}, "personal_data": found, "privacy_risk": profile.privacy_risk(found, len(df.columns))}, default=str, indent=2))
+        rules = suggest(column_summary(df, df.columns))
+        if a.config:
+            Path(a.config).write_text(configuration(Path(a.file).stem, a.file, rules))
+        print(json.dumps({**{k: [r.asDict() for r in d.collect()] for k, d in parts.items()}, "suggestions": rules, "personal_data": found, "privacy_risk": profile.privacy_risk(found, len(df.columns))}, default=str, indent=2))
         return 0
     job = parse(Path(a.config).read_text())
     report = run(spark, job)

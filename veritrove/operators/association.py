@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import number
+from .quantiles import exact_quantiles, quantiles
 
 
 def _pairs(df: DataFrame, values: dict[tuple[str, str], dict]) -> DataFrame:
@@ -61,8 +62,9 @@ def correlation_ratio(df: DataFrame, category: str, value: str) -> DataFrame:
 
 def class_statistics(df: DataFrame, category: str, value: str) -> DataFrame:
     x = number(value)
-    q = lambda p: F.round(F.percentile(x, F.lit(p)), 4)
-    return df.groupBy(F.col(category).alias("category")).agg(F.count(x).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_pop(x), 4).alias("sd"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
+    moments = df.groupBy(F.col(category).alias("category")).agg(F.count(x).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_pop(x), 4).alias("sd"))
+    found = exact_quantiles(df.select(F.col(category).alias("key"), x.alias("x")), (0.25, 0.5, 0.75)).select("key", *(F.round(F.get("q", F.lit(i)), 4).alias(k) for i, k in enumerate(("q1", "median", "q3"))))
+    return moments.join(found, F.col("category").eqNullSafe(F.col("key")), "left").drop("key")
 
 
 def cohens_d(df: DataFrame, category: str, value: str, first: str, second: str) -> DataFrame:
@@ -114,7 +116,7 @@ def benford(df: DataFrame, column: str) -> DataFrame:
 def ratio_outliers(df: DataFrame, a: str, b: str) -> DataFrame:
     r = F.try_divide(number(a), number(b))
     x = df.select(r.alias("r")).dropna()
-    q1, q3 = x.agg(F.percentile("r", F.array(F.lit(0.25), F.lit(0.75)))).first()[0] or (0.0, 0.0)
+    q1, q3 = quantiles(x, F.col("r"), (0.25, 0.75)) or (0.0, 0.0)
     high, low = q3 + 3 * (q3 - q1), max(q1 - 3 * (q3 - q1), 0.001)
     return x.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("r") > high) | (F.col("r") < low)).alias("outliers"))
 
@@ -123,7 +125,7 @@ def correlation_breaks(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rows whose residual is beyond the 99th percentile of residuals."""
     s, i = df.agg(F.regr_slope(number(y), number(x)), F.regr_intercept(number(y), number(x))).first()
     r = df.select(F.abs(number(y) - (F.lit(s) * number(x) + F.lit(i))).alias("r")).dropna()
-    edge = r.agg(F.percentile("r", F.lit(0.99))).first()[0]
+    edge = (quantiles(r, F.col("r"), (0.99,)) or [None])[0]
     return r.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("r") > F.lit(edge)).alias("breaks"))
 
 

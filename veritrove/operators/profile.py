@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import number, string
+from .quantiles import exact_quantiles
 
 # Texts that stand for a missing value.
-PLACEHOLDERS = ("n/a", "na", "null", "none", "nan", "-", "--", "?", "unknown", "undefined", "nil", "missing", "tbd", "tba", "#n/a", "(null)", "<null>", ".", "not available")
+PLACEHOLDERS = ("?", "n/a", "na", "null", "none", "-", "unknown", "nan", "missing", "undefined", ".", "..", "...", "n.a.", "n.a", "#n/a", "#na", "not available", "not applicable")
 # Value patterns, anchored.
 PATTERNS = {
     "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$",
@@ -60,16 +61,21 @@ def null_kinds(df: DataFrame, columns: list[str]) -> DataFrame:
     return stacked(df, {c: of(c) for c in columns})
 
 
+LEVELS = {"p01": 0.01, "p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99}
+
+
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Moments from one scan; distinct counts and exact quantiles from counts of the values, spread over tasks."""
+
     def of(c: str) -> dict[str, Column]:
         x = number(c)
-        levels = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-        whole = F.percentile(x, F.array(*map(F.lit, levels)))  # one aggregate for all levels
-        q = lambda p: F.get(whole, F.lit(levels.index(p)))
-        out = {"n": F.count(x), "distinct": F.count_distinct(x), "low": F.min(x), "high": F.max(x), "mean": F.avg(x), "sd": F.stddev_pop(x), "p01": q(0.01), "p05": q(0.05), "q1": q(0.25), "median": q(0.5), "q3": q(0.75), "p95": q(0.95), "p99": q(0.99)}
-        return {k: F.round(v, 4) if k not in ("n", "distinct") else v for k, v in out.items()}
+        return {"n": F.count(x), "low": F.round(F.min(x), 4), "high": F.round(F.max(x), 4), "mean": F.round(F.avg(x), 4), "sd": F.round(F.stddev_pop(x), 4)}
 
-    return stacked(df, {c: of(c) for c in columns})
+    pairs = F.array(*(F.struct(F.lit(c).alias("key"), number(c).cast("double").alias("x")) for c in columns))
+    found = exact_quantiles(df.select(F.explode(pairs).alias("v")).select("v.*"), tuple(LEVELS.values()))
+    found = found.select(F.col("key").alias("column"), "distinct", *(F.round(F.get("q", F.lit(i)), 4).alias(k) for i, k in enumerate(LEVELS)))
+    moments = stacked(df, {c: of(c) for c in columns})
+    return moments.join(found, "column", "left").select("column", "n", F.coalesce("distinct", F.lit(0)).alias("distinct"), "low", "high", "mean", "sd", *LEVELS)
 
 
 def shape(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -117,6 +123,12 @@ def pattern_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return stacked(df, {c: {k: F.count_if(string(c).rlike(p)) for k, p in PATTERNS.items()} for c in columns})
 
 
+def card_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """How many values look like a card number, and how many of these pass the Luhn check."""
+    card = lambda c: string(c).rlike(PATTERNS["credit_card"])
+    return stacked(df, {c: {"cards": F.count_if(card(c)), "valid": F.count_if(F.when(card(c), luhn(string(c))))} for c in columns})
+
+
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, value, n of all columns from one pass."""
     pairs = F.array(*(F.struct(F.lit(c).alias("column"), string(c).alias("value")) for c in columns))
@@ -193,15 +205,21 @@ def redact(x: Column) -> Column:
 NAME_HINTS = {"email": ("email", "mail"), "phone": ("phone", "mobile", "tel"), "ssn": ("ssn", "social"), "credit_card": ("card", "ccnum"), "name": ("name",), "address": ("address", "street"), "date_of_birth": ("birth", "dob"), "ip": ("ip",), "zip": ("zip", "postal")}
 
 
+LUHN_SHARE = 0.8
+
+
 def privacy(df: DataFrame, columns: list[str], least: float = 0.5) -> list[dict]:
-    """Columns with personal data: by the share of values that match, or by name (confidence 0.7)."""
+    """Columns with personal data: by the share of values that match, or by name (confidence 0.7).
+
+    Card numbers count only where at least LUHN_SHARE of them pass the Luhn check.
+    """
     out = []
-    for r in pattern_counts(df, columns).join(null_kinds(df, columns), "column").collect():
+    for r in pattern_counts(df, columns).join(null_kinds(df, columns), "column").join(card_counts(df, columns), "column").collect():
         full = r["total"] - r["nulls"]
         tokens = r["column"].lower().replace("-", "_").split("_")
         for kind in ("email", "phone", "ssn", "credit_card", "ipv4"):
             share = r[kind] / full if full else 0.0
-            if share >= least:
+            if share >= least and (kind != "credit_card" or r["valid"] >= LUHN_SHARE * r["cards"]):
                 out.append({"column": r["column"], "kind": kind, "confidence": share})
         out += [{"column": r["column"], "kind": k, "confidence": 0.7} for k, words in NAME_HINTS.items() if any(w in tokens for w in words)]
     return out

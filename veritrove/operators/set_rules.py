@@ -63,7 +63,7 @@ class DuplicateRowCheck(Rule):
 def _reference(ctx: Context, name: str, form: str | None = None) -> DataFrame:
     from ..sources.readers import load, resolve
 
-    return ctx.tables[name] if name in ctx.tables else load(ctx.spark, resolve(name, ctx.path, ctx.base_path), form)
+    return ctx.tables[name] if name in ctx.tables else load(ctx.spark, resolve(ctx.spark, name, ctx.path, ctx.base_path), form)
 
 
 class _Reference(Rule):

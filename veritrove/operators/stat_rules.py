@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import number
 from ..functions.tails import correlation_tail, kolmogorov_tail
 from .base import Outcome, Rule, RuleError, count_true
+from .quantiles import quantiles
 from .set_rules import _Reference, _reference, scalar
 
 
@@ -28,10 +29,6 @@ class _Outliers(Rule):
         out = {"n": F.count(x)}
         if m == "zscore":
             out |= {"mean": F.avg(x), "sd": F.stddev_pop(x)}
-        elif m == "iqr":
-            out |= {"q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))}
-        elif m == "modified_zscore":
-            out |= {"median": F.percentile(x, F.lit(0.5))}
         return out
 
     def second(self, df, v):
@@ -41,13 +38,12 @@ class _Outliers(Rule):
         if self.p["method"] == "zscore":
             return {"bad": count_true(F.abs(x - v["mean"]) > t * v["sd"])} if v["sd"] else {}
         if self.p["method"] == "iqr":
-            low, high = fences(*v["q"], t)
-            return {"bad": count_true((x < low) | (x > high))} if v["q"][0] != v["q"][1] or self.FLAT else {}
-        return {"mad": F.percentile(F.abs(x - v["median"]), F.lit(0.5))}
-
-    def third(self, df, v):
-        t = float(self.p["threshold"] if self.p["threshold"] is not None else self.DEFAULT["modified_zscore"])
-        return {"bad": count_true(F.abs(0.6745 * (self.x(df) - v["median"]) / v["mad"]) > t)} if v.get("mad") else {}
+            q = quantiles(df, x, (0.25, 0.75))
+            low, high = fences(*q, t)
+            return {"bad": count_true((x < low) | (x > high))} if q[0] != q[1] or self.FLAT else {}
+        median = quantiles(df, x, (0.5,))[0]
+        mad = quantiles(df, F.abs(x - median), (0.5,))[0]
+        return {"bad": count_true(F.abs(0.6745 * (x - median) / mad) > t)} if mad else {}
 
     DEFAULT = {"zscore": 3.0, "iqr": 1.5, "modified_zscore": 3.5}
     FLAT = False
@@ -286,7 +282,7 @@ class TemporalFrequencyCheck(Rule):
     def run(self, df, ctx):
         g = gaps(self.scoped(df), self.p["field"])
         e = self.p["expected_frequency"]
-        base = self.SECONDS[e] if e else g.agg(F.percentile("seconds", F.lit(0.5))).first()[0]
+        base = self.SECONDS[e] if e else (quantiles(g, F.col("seconds"), (0.5,)) or [None])[0]
         if base is None:
             return Outcome(0, 0, True)
         n, bad = g.agg(F.count(F.lit(1)), F.count_if(F.abs(F.col("seconds") - base) > float(self.p["tolerance"]) * base)).first()

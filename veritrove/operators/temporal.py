@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
 from .stat_rules import gaps
 
 # Lengths of the usual frequencies in seconds.
@@ -14,7 +15,7 @@ LADDER = (("secondly", 1), ("minutely", 60), ("hourly", 3600), ("daily", 86400),
 def frequency(df: DataFrame, field: str) -> dict:
     """The nearest usual frequency of the median interval, and the share of intervals within a fifth of the median."""
     g = gaps(df, field)
-    median = g.agg(F.percentile("seconds", F.lit(0.5))).first()[0]
+    median = (quantiles(g, F.col("seconds"), (0.5,)) or [None])[0]
     if median is None:
         return {"frequency": None, "median": None, "regular": None}
     near = g.agg(F.avg((F.abs(F.col("seconds") - median) <= 0.2 * median).cast("double"))).first()[0]
@@ -25,7 +26,7 @@ def frequency(df: DataFrame, field: str) -> dict:
 def gap_summary(df: DataFrame, field: str, factor: float = 2.0) -> DataFrame:
     """Intervals of over `factor` medians."""
     g = gaps(df, field)
-    median = g.agg(F.percentile("seconds", F.lit(0.5))).first()[0] or 0.0
+    median = (quantiles(g, F.col("seconds"), (0.5,)) or [0.0])[0]
     return g.agg(F.count(F.lit(1)).alias("intervals"), F.count_if(F.col("seconds") > factor * median).alias("gaps"), F.round(F.max("seconds"), 3).alias("longest"))
 
 

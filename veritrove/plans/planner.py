@@ -29,9 +29,9 @@ def _scan(df: DataFrame, wanted: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
-def _first_phase(df: DataFrame, rules: list[Rule]) -> dict[str, Any]:
+def _first_phase(df: DataFrame, rules: dict[int, Rule]) -> dict[str, Any]:
     wanted = {}
-    for i, r in enumerate(rules):
+    for i, r in rules.items():
         if r.kind == "row":
             scope = r.scope(df)
             wanted[f"r{i}_bad"] = count_true(r.bad(df) & scope if scope is not None else r.bad(df))
@@ -55,13 +55,13 @@ def outcomes(df: DataFrame, rules: list[Rule], ctx: Context) -> list[Outcome]:
             r.scope(df)
             if r.kind == "row":
                 r.bad(df)
+            elif r.kind in ("scalar", "phased"):
+                r.metrics(df)
             sound.append(i)
         except (RuleError, ValueError) as e:
             found[i] = Outcome(0, 0, False, f"{type(e).__name__}: {e}")
-    values = _scan(df, {k: v for k, v in _first_phase(df, rules).items() if int(k[1:].split("_")[0]) in sound})
-    for phase in ("second", "third"):
-        more = {f"r{i}_{k}": v for i in sound if rules[i].kind == "phased" and hasattr(rules[i], phase) and (phase == "second" or rules[i].p.get("method") == "modified_zscore") for k, v in getattr(rules[i], phase)(df, _of(values, i)).items()}
-        values |= _scan(df, more)
+    values = _scan(df, _first_phase(df, {i: rules[i] for i in sound}))
+    values |= _scan(df, {f"r{i}_{k}": v for i in sound if rules[i].kind == "phased" for k, v in rules[i].second(df, _of(values, i)).items()})
     for i in sound:
         r, v = rules[i], _of(values, i)
         if r.kind == "row":

@@ -86,6 +86,14 @@ def coverage(job: JobSpec) -> list[dict[str, Any]]:
     return out
 
 
+def configuration(name: str, path: str, suggestions: list[dict[str, Any]]) -> str:
+    """The YAML of a job that checks one file by the rules suggested; spec.parse() reads it."""
+    import yaml
+
+    plain = lambda x: x if isinstance(x, (str, int, float, bool, type(None))) else [plain(v) for v in x] if isinstance(x, (list, tuple)) else {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else float(x)
+    return yaml.safe_dump({"job": {"name": name, "files": [{"name": name, "path": path, "validations": [{"type": s["type"], "severity": "WARNING", "params": plain(s["params"])} for s in suggestions]}]}}, sort_keys=False, allow_unicode=True)
+
+
 def suggest(counts: dict[str, dict[str, Any]]) -> list[dict[str, Any]]:
     """Rules that a profile supports; counts: column -> total, nulls, distinct, low, high, values (if few)."""
     out = []
