@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from veritrove.llm import ann_search, byte_bpe, language_id, packing, secret_scan, simhash_dedup, token_files, toxicity, winnowing
+from veritrove.llm import components as components_module
 from veritrove.llm.components import components
 from veritrove.llm.tokens import END_ID, encode_with_end, encoder, vocabulary_path
 
@@ -232,6 +233,20 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    links = [(int(a), int(b)) for a, b in rng.integers(-900, 900, (800, 2))] + [(i, i + 1) for i in range(2000, 2300)] + [(5, 5), (None, 1), (1 << 62, -(1 << 62))]
+    table = spark.createDataFrame(links, "a long, b long")
+    spark.sparkContext.setJobGroup("components", "components")
+    try:
+        got = sorted(map(tuple, components(table).collect()))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 12
+    monkeypatch.setattr(components_module, "DRIVER_LINKS", -1)
+    assert sorted(map(tuple, components(table).collect())) == got  # by rounds, as for more links
+
+
 def test_language_id(docs, odd):
     got = language_id.digest(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.9
