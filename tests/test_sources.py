@@ -81,6 +81,17 @@ def test_quantiles_of_several_slots(spark, monkeypatch):
     assert Q.exact_quantiles(df, (0.1, 0.5, 0.9)).first()["q"] == [statistics.quantiles(values, n=10, method="inclusive")[k] for k in (0, 4, 8)]
 
 
+def test_slots_are_found_by_halving(spark):
+    from bisect import bisect_left
+
+    from veritrove.operators.stat_rules import below
+
+    for n in (1, 2, 7, 8, 600):
+        edges = [float(3 * i) for i in range(n)]
+        rows = spark.createDataFrame([(float(x),) for x in range(-2, 3 * n + 2)], "x double").select("x", below(edges, F.col("x")).alias("k")).collect()
+        assert all(r["k"] == bisect_left(edges, r["x"]) for r in rows)
+
+
 def test_cards_need_the_check_digit(spark):
     good, bad = "4111 1111 1111 1111", "4111 1111 1111 1112"
     kinds = lambda texts: {f["kind"] for f in privacy(spark.createDataFrame([(t,) for t in texts], "x string"), ["x"])}

@@ -104,18 +104,25 @@ def cdf(kind: str, x: Column, a: float, b: float) -> Column:
     return 0.5 * (1 + F.when(x >= a, erf).otherwise(-erf))
 
 
+def below(edges: list[float], x: Column) -> Column:
+    """How many of the ascending edges are smaller than x, by halving steps: a scan of all would cost each value as many steps as there are slots."""
+    held = F.array(*map(F.lit, edges))
+    steps = F.array(*(F.lit(1 << k) for k in range(len(edges).bit_length() - 1, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda n, k: F.when(F.coalesce(F.get(held, n + k - 1) < x, F.lit(False)), n + k).otherwise(n))
+
+
 def running_counts(values: DataFrame) -> DataFrame:
     """x, n, before: for each distinct value how often it occurs and how many are smaller.
 
-    Distinct values go to slots between approximate quantiles (4096 at most), are counted within slots, and the slots' totals
+    Distinct values go to slots between approximate quantiles (1024 at most), are counted within slots, and the slots' totals
     are added: no single task sees all.
     """
     n = values.count()
     if not n:
         return values.select("x", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("before")).limit(0)
-    slots = max(1, min(4096, n // 1000))
+    slots = max(1, min(1024, n // 20_000))
     edges = sorted(set(values.agg(F.percentile_approx("x", [i / slots for i in range(1, slots)], 10_000)).first()[0])) if slots > 1 else []
-    slot = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("x"))) if edges else F.lit(0)
+    slot = below(edges, F.col("x")) if edges else F.lit(0)
     counts = values.groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("p", slot)
     totals = counts.groupBy("p").agg(F.sum("n").alias("t"))
     before = totals.select("p", F.coalesce(F.sum("t").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
