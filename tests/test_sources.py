@@ -81,6 +81,30 @@ def test_quantiles_of_several_slots(spark, monkeypatch):
     assert Q.exact_quantiles(df, (0.1, 0.5, 0.9)).first()["q"] == [statistics.quantiles(values, n=10, method="inclusive")[k] for k in (0, 4, 8)]
 
 
+def test_quantiles_rank_only_values_near_the_levels(spark):
+    from veritrove.operators import quantiles as Q
+
+    n = 200_000
+    df = spark.range(n).select(F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("key"), F.pmod(F.col("id") * 7919, F.lit(n)).cast("double").alias("x"))
+    assert Q.ranked(df, (0.25, 0.5, 0.99)).count() < n / 100
+    rows = df.groupBy("key").agg(F.sort_array(F.collect_list("x")).alias("v")).collect()
+    got = {r["key"]: r for r in Q.exact_quantiles(df, (0.0, 0.25, 0.5, 0.99, 1.0)).collect()}
+    for r in rows:
+        v = r["v"]
+        ranks = [p * (len(v) - 1) for p in (0.0, 0.25, 0.5, 0.99, 1.0)]
+        assert got[r["key"]]["distinct"] == len(set(v))
+        assert got[r["key"]]["q"] == [v[int(k)] if int(k) == k else v[int(k)] + (k - int(k)) * (v[int(k) + 1] - v[int(k)]) for k in ranks]
+
+
+def test_a_poor_sketch_makes_no_quantile_wrong(spark, monkeypatch):
+    from veritrove.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "SLOT", 10)
+    monkeypatch.setattr(Q, "NEAR", 0.0)
+    df = spark.createDataFrame([("a", float(min(900, max(300, i)))) for i in range(1000)], "key string, x double")
+    assert Q.exact_quantiles(df, (0.0, 0.1, 0.5, 0.95, 1.0)).first()["q"] == [300.0, 300.0, 499.5, 900.0, 900.0]
+
+
 def test_slots_are_found_by_halving(spark):
     from bisect import bisect_left
 

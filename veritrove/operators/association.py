@@ -63,7 +63,7 @@ def correlation_ratio(df: DataFrame, category: str, value: str) -> DataFrame:
 def class_statistics(df: DataFrame, category: str, value: str) -> DataFrame:
     x = number(value)
     moments = df.groupBy(F.col(category).alias("category")).agg(F.count(x).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_pop(x), 4).alias("sd"))
-    found = exact_quantiles(df.select(F.col(category).alias("key"), x.alias("x")), (0.25, 0.5, 0.75)).select("key", *(F.round(F.get("q", F.lit(i)), 4).alias(k) for i, k in enumerate(("q1", "median", "q3"))))
+    found = exact_quantiles(df.select(F.col(category).alias("key"), x.alias("x")), (0.25, 0.5, 0.75), distinct=False).select("key", *(F.round(F.get("q", F.lit(i)), 4).alias(k) for i, k in enumerate(("q1", "median", "q3"))))
     return moments.join(found, F.col("category").eqNullSafe(F.col("key")), "left").drop("key")
 
 
